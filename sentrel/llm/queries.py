@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sentrel.llm import bpe, chat_format, decontaminate, simhash
+from sentrel.llm import bpe, chat_format, cws, decontaminate, line_dedup, quality, sharding, simhash
 from sentrel.llm.common import table
 
 
@@ -33,6 +33,10 @@ FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN ids USING (doc_id)
 """
 
 
+def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(table(spark, sf_dir, "documents").select("doc_id", "text"), 40)
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -66,10 +70,51 @@ FROM e GROUP BY conv_id
 """
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", (quality.remainder("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = line_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return cut.select("doc_id", "n_lines", "n_removed", F.length("text").cast("long").alias("kept_chars"), F.sha2("text", 256).alias("kept_sha256"))
+
+
+OP7_SQL = r"""
+WITH l AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents),
+p AS (SELECT doc_id, ls, unnest(generate_series(1, len(ls))) AS pos FROM l),
+w AS (SELECT doc_id, pos, ls[pos] AS line, len(regexp_extract_all(ls[pos], '[^\x20\x09-\x0D]+')) AS words FROM p),
+s AS (SELECT *, sum(words) OVER (PARTITION BY doc_id ORDER BY pos) AS upto FROM w),
+ahead AS (SELECT a.doc_id, a.pos AS lo, min(b.pos) AS hi FROM s a JOIN s b ON a.doc_id = b.doc_id AND b.pos >= a.pos AND b.upto - a.upto + a.words >= 50 GROUP BY ALL),
+back AS (SELECT b.doc_id, max(a.pos) AS lo, b.pos AS hi FROM s a JOIN s b ON a.doc_id = b.doc_id AND b.pos >= a.pos AND b.upto - a.upto + a.words >= 50 GROUP BY ALL),
+runs AS (SELECT DISTINCT r.doc_id, lo, hi, array_to_string(ls[lo:hi], chr(10)) AS run FROM (SELECT * FROM ahead UNION SELECT * FROM back) r JOIN l USING (doc_id)),
+later AS (SELECT doc_id, lo, hi FROM (SELECT *, row_number() OVER (PARTITION BY run ORDER BY doc_id, lo) AS k FROM runs) WHERE k > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(generate_series(lo, hi)) AS pos FROM later)
+SELECT l.doc_id, len(any_value(ls)) AS n_lines, count(gone.pos) AS n_removed,
+  length(coalesce(string_agg(line, chr(10) ORDER BY w.pos) FILTER (gone.pos IS NULL), '')) AS kept_chars,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY w.pos) FILTER (gone.pos IS NULL), '')) AS kept_sha256
+FROM l JOIN w ON l.doc_id = w.doc_id LEFT JOIN gone ON gone.doc_id = w.doc_id AND gone.pos = w.pos GROUP BY l.doc_id
+"""
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", simhash.hex_fingerprint().alias("fingerprint"), "component_id")
 
 
-QUERIES = {"op1_decontaminate": op1_decontaminate, "op3_bpe": op3_bpe, "op5_chat": op5_chat, "op9_simhash": op9_simhash}
-ORACLE_SQL = {"op1_decontaminate": OP1_SQL, "op5_chat": OP5_SQL}
+def op10_weighted_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cws.edited_fingerprints(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+QUERIES = {
+    "op1_decontaminate": op1_decontaminate,
+    "op2_sharding": op2_sharding,
+    "op3_bpe": op3_bpe,
+    "op5_chat": op5_chat,
+    "op6_quality": op6_quality,
+    "op7_line_dedup": op7_line_dedup,
+    "op9_simhash": op9_simhash,
+    "op10_weighted_sampling": op10_weighted_sampling,
+}
+ORACLE_SQL = {"op1_decontaminate": OP1_SQL, "op5_chat": OP5_SQL, "op7_line_dedup": OP7_SQL}

@@ -19,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
@@ -195,18 +195,33 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     return edge.select(F.col("u").alias("node"), F.col("v").alias("root")).union(edge.select("v", "v").distinct())
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", width: int = 3, distance: int = DISTANCE) -> DataFrame:
-    """Per row of ``docs``: doc_id, fp (signed 64 bits), component_id (the smallest doc_id that can be reached by links)."""
-    scratch = Scratch(docs.sparkSession, "simhash")
-    marked = scratch.save(fingerprints(docs.select(F.col(doc_id).alias("doc_id"), "text"), width, ["doc_id"]), "marked")
+def _grouped(docs: DataFrame, scratch: Scratch, width: int, distance: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, fp) of each row, written; and (fp, first, root): the least id of each fingerprint, its component's name."""
+    marked = scratch.save(fingerprints(docs, width, ["doc_id"]), "marked")
     distinct = scratch.save(marked.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
     roots = components(links(distinct, scratch, distance=distance), scratch)
     named = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    named = scratch.save(named, "named")
+    return marked, scratch.save(named, "named")
+
+
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", width: int = 3, distance: int = DISTANCE) -> DataFrame:
+    """Per row of ``docs``: doc_id, fp (signed 64 bits), component_id (the smallest doc_id that can be reached by links)."""
+    marked, named = _grouped(docs.select(F.col(doc_id).alias("doc_id"), "text"), Scratch(docs.sparkSession, "simhash"), width, distance)
     least = named.groupBy("root").agg(F.min("first").alias("component_id"))
     return marked.join(named.join(least, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
+def one_of_each(docs: DataFrame, width: int = 3, distance: int = DISTANCE) -> DataFrame:
+    """The rows of ``docs`` that stay: of each component the one with the smallest doc_id (null last; of equal ones that with the smallest fingerprint, then text hash)."""
+    _, named = _grouped(docs.select("doc_id", "text"), Scratch(docs.sparkSession, "simhash"), width, distance)
+    first = F.struct(F.col("first").isNull().alias("none"), F.col("first").alias("id"), "fp")
+    stay = named.groupBy("root").agg(F.min(first).alias("x")).select(F.col("x.id").alias("_id"), F.col("x.fp").alias("_fp"))
+    marked = fingerprints(docs, width)
+    found = marked.join(stay, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("fp") == F.col("_fp")), "left_semi")
+    own = Window.partitionBy("fp", "doc_id").orderBy(F.xxhash64("text"))
+    return found.withColumn("_k", F.row_number().over(own)).where("_k = 1").select(*docs.columns)
+
+
 def hex_fingerprint(column: str = "fp"):
     """16 lowercase hex digits of the unsigned fingerprint."""
     return F.lower(F.lpad(F.hex(F.col(column)), 16, "0"))
