@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sentrel.llm import bpe, chat_format, cws, decontaminate, line_dedup, quality, sharding, simhash
+from sentrel.llm import bpe, chat_format, cws, decontaminate, hpylm, line_dedup, quality, sharding, simhash
 from sentrel.llm.common import table
 
 
@@ -43,6 +43,10 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_table(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"), with_ids=False)
 
 
+def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hpylm.score_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     extra = "</s>[INST] ok [/INST]"
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -111,6 +115,7 @@ QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_sharding": op2_sharding,
     "op3_bpe": op3_bpe,
+    "op4_lm_score": op4_lm_score,
     "op5_chat": op5_chat,
     "op6_quality": op6_quality,
     "op7_line_dedup": op7_line_dedup,
