@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sentrel.llm import bpe, chat_format, cws, decontaminate, hpylm, line_dedup, quality, sharding, simhash
+from sentrel.llm import bpe, chat_format, cws, decontaminate, hpylm, line_dedup, quality, sharding, simhash, url_filter
 from sentrel.llm.common import table
 
 
@@ -102,6 +102,40 @@ FROM l JOIN w ON l.doc_id = w.doc_id LEFT JOIN gone ON gone.doc_id = w.doc_id AN
 """
 
 
+#: The rules that the url query applies: host, path, verdict.
+URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
+
+
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES).drop("url")
+
+
+def _op8_sql() -> str:
+    """The template tree in SQL, one step a level."""
+    u, d = url_filter, "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+    ordered = sorted(URL_RULES, key=lambda r: -len(r[0] + r[1]))
+    fits = [f"WHEN (host = '{h}' OR host LIKE '%.{h}') AND starts_with(path, '{p}') THEN" for h, p, _ in ordered]
+    steps = [rf"""
+WITH u AS (SELECT page_id, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), {d}) AS host, coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+r AS (SELECT *, CASE {" ".join(f"{f} '{h}{p}'" for f, (h, p, _) in zip(fits, ordered, strict=True))} END AS rule, CASE {" ".join(f"{f} '{v}'" for f, (_, _, v) in zip(fits, ordered, strict=True))} END AS said FROM u),
+p AS (SELECT host, path, count(*) FILTER (said = 'block') AS b, count(*) FILTER (said = 'allow') AS a, count(*) FILTER (said IS NULL) AS u FROM r GROUP BY ALL),
+rate AS (SELECT sum(b) / sum(a + b + u) AS rate FROM p),
+t0 AS (SELECT *, a + b + u AS n, string_split(CASE WHEN starts_with(path, '/') THEN substr(path, 2) ELSE path END, '/') AS segments, CAST([] AS VARCHAR[]) AS template FROM p)"""]
+    for k in range(u.DEPTH):
+        steps.append(f"""s{k} AS (SELECT *, segments[{k + 1}] AS seg, sum(n) OVER (PARTITION BY host, template, segments[{k + 1}]) AS mine, sum(n) FILTER (len(segments) > {k}) OVER (PARTITION BY host, template) AS every FROM t{k}),
+t{k + 1} AS (SELECT host, path, b, a, u, n, segments, CASE WHEN len(segments) <= {k} THEN template ELSE list_append(template, CASE WHEN mine > 1 AND mine * {u.SHARE} >= every THEN '=' || seg ELSE '*' END) END AS template FROM s{k})""")
+    steps.append(f"""tree AS (SELECT host, path, b, a, u, CASE WHEN len(segments) > {u.DEPTH} THEN list_append(template, '**') ELSE template END AS template FROM t{u.DEPTH}),
+br AS (SELECT host, template[1] AS branch, sum(b) AS b, sum(a + b + u) AS n, (sum(b) + 0.5::DOUBLE) / (sum(a + b + u) + 1) AS rate FROM tree GROUP BY ALL),
+bl AS (SELECT *, lag(n) OVER w AS pn, lag(rate) OVER w AS pr FROM br WINDOW w AS (PARTITION BY host ORDER BY rate, branch)),
+bz AS (SELECT *, (rate * n + pr * pn) / (n + pn) AS q FROM bl),
+bc AS (SELECT host, branch, sum(CASE WHEN (rate - pr) / sqrt(q * (1 - q) * (1.0::DOUBLE / n + 1.0::DOUBLE / pn)) >= {u.LIKE} THEN 1 ELSE 0 END) OVER (PARTITION BY host ORDER BY rate, branch) AS cluster FROM bz),
+m AS (SELECT tree.*, cluster, template[2:] AS rest FROM tree JOIN bc ON tree.host = bc.host AND template[1] = branch),
+pure AS (SELECT host, cluster, rest, (sum(b) + {u.PRIOR} * any_value(rate)) / (sum(b) + sum(a) + {u.PRIOR}) AS purity FROM m, rate GROUP BY host, cluster, rest),
+j AS (SELECT m.host, m.path, '/' || array_to_string(list_transform(template, lambda s: CASE WHEN starts_with(s, '=') THEN substr(s, 2) ELSE s END), '/') AS template, purity FROM m JOIN pure ON m.host = pure.host AND m.cluster = pure.cluster AND m.rest = pure.rest)
+SELECT page_id, r.host, r.path, rule, coalesce(said, CASE WHEN purity > 0.5 THEN 'block' ELSE 'allow' END) AS verdict, template, purity::DOUBLE AS purity FROM r JOIN j ON r.host = j.host AND r.path = j.path""")
+    return ",\n".join(steps)
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", simhash.hex_fingerprint().alias("fingerprint"), "component_id")
@@ -119,7 +153,8 @@ QUERIES = {
     "op5_chat": op5_chat,
     "op6_quality": op6_quality,
     "op7_line_dedup": op7_line_dedup,
+    "op8_url_filter": op8_url_filter,
     "op9_simhash": op9_simhash,
     "op10_weighted_sampling": op10_weighted_sampling,
 }
-ORACLE_SQL = {"op1_decontaminate": OP1_SQL, "op5_chat": OP5_SQL, "op7_line_dedup": OP7_SQL}
+ORACLE_SQL = {"op1_decontaminate": OP1_SQL, "op5_chat": OP5_SQL, "op7_line_dedup": OP7_SQL, "op8_url_filter": _op8_sql()}
