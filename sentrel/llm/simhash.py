@@ -165,8 +165,8 @@ def links(distinct: DataFrame, scratch: Scratch, crowd: int = CROWD, distance: i
     found = scratch.save(keyed.mapInArrow(_pairs_of(crowd, distance), _LINK), "found")
     crowded = found.where("a = b").select(F.col("a").alias("fp")).distinct()
     fine = crowded.mapInArrow(_fine_variants, "key long, pair short, fp long")
-    group = fine.groupBy("key", "pair").agg(F.min("fp").alias("a"), F.collect_set("fp").alias("all")).where(F.size("all") > 1)  # four at most
-    near = group.select("a", F.explode("all").alias("b")).where("a < b")
+    group = fine.groupBy("key", "pair").agg(F.collect_set("fp").alias("all")).where(F.size("all") > 1)  # four at most
+    near = group.select("all", F.explode("all").alias("a")).select("a", F.explode("all").alias("b")).where("a < b")
     within = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance
     return found.where("a < b").unionByName(near.where(within)).distinct()
 
