@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from sentrel.llm.common import batches
 
 #: Chunks of text whose encoding is kept by each worker, and pairs of tokens whose compatibility is kept.
-CHUNKS_KEPT, PAIRS_KEPT = 400_000, 1_000_000
+CHUNKS_KEPT, PAIRS_KEPT = 150_000, 250_000
 
 
 def byte_alphabet() -> list[str]:
@@ -83,6 +83,7 @@ class PrefixBpe:
         self.inside.make_automaton()
         self.pairs: dict[tuple[str, str], bool] = {}
         self.chunks: dict[str, tuple[str, int, str]] = {}
+        self.older: dict[str, tuple[str, int, str]] = {}
 
     def merge(self, symbols: list[str]) -> list[str]:
         """The merge loop itself; used on single tokens and pairs of tokens only."""
@@ -152,13 +153,17 @@ class PrefixBpe:
 
     def chunk(self, chunk: str) -> tuple[str, int, str]:
         """Ids joined by spaces, how many, and the tokens joined by spaces, of what stands between two white spaces."""
+        found = self.chunks.get(chunk) or self.older.get(chunk)
+        if len(self.chunks) >= CHUNKS_KEPT // 2:
+            self.older, self.chunks = self.chunks, {}
+        if found:
+            self.chunks[chunk] = found
+            return found
         if self.wide(chunk):
             pieces = [piece for piece, _ in self.wide_split(self.normal(chunk))]
         else:
             pieces = self.split(unicodedata.normalize("NFC", chunk).lower())
         tokens = [t for piece in pieces for t in self.encode_word(piece.encode().decode("latin-1").translate(self.table))]
-        if len(self.chunks) >= CHUNKS_KEPT:
-            self.chunks.clear()
         found = self.chunks[chunk] = (" ".join([str(self.ids[t]) for t in tokens]), len(tokens), " ".join(tokens))
         return found
 
