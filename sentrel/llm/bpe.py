@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from sentrel.llm.common import batches
 
 #: Chunks of text whose encoding is kept by each worker, and pairs of tokens whose compatibility is kept.
-CHUNKS_KEPT, PAIRS_KEPT = 150_000, 250_000
+CHUNKS_KEPT, PAIRS_KEPT = 320_000, 400_000
 
 
 def byte_alphabet() -> list[str]:
@@ -55,6 +55,7 @@ class PrefixBpe:
         self.rank = {m: i for i, m in enumerate(merges)}
         self.parts = {a + b: (a, b) for a, b in reversed(merges)}
         self.edges: dict[str, list[tuple[str, int]]] = {}
+        self.id_text = {t: str(i) for t, i in self.ids.items()}
         added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.tokens = {i: t for t, i in self.ids.items()} | {i: t for t, i in added.items()}
         self.added = added
@@ -133,15 +134,24 @@ class PrefixBpe:
         if n <= self.longest_end and word in self.ends:
             return [word + self.suffix]
         last: list[str] = [""] * (n + 1)
-        done = 0
+        done, known, compatible = 0, self.pairs.get, self.compatible
         if n > 1:
-            for end, token in self.inside.iter(word[:-1]):
-                at, begin = end + 1, end + 1 - len(token)
-                if done < at and (begin == 0 or self.compatible(last[begin], token)):
-                    last[at], done = token, at
+            for end, token in self.inside.iter(word, 0, n - 1):
+                if done <= end:
+                    begin = end + 1 - len(token)
+                    if begin:
+                        left = last[begin]
+                        fits = known((left, token))
+                        if fits is None:
+                            fits = compatible(left, token)
+                        if not fits:
+                            continue
+                    done = end + 1
+                    last[done] = token
+        ends = self.ends
         for size in range(min(n, self.longest_end), 0, -1):
             token = word[n - size :]
-            if token in self.ends and (n == size or self.compatible(last[n - size], token + self.suffix)):
+            if token in ends and (n == size or self.compatible(last[n - size], token + self.suffix)):
                 break
         else:
             raise ValueError(f"no encoding of {word!r}")
@@ -159,12 +169,15 @@ class PrefixBpe:
         if found:
             self.chunks[chunk] = found
             return found
-        if self.wide(chunk):
+        if not chunk.isascii() and self.wide(chunk):
             pieces = [piece for piece, _ in self.wide_split(self.normal(chunk))]
         else:
-            pieces = self.split(unicodedata.normalize("NFC", chunk).lower())
-        tokens = [t for piece in pieces for t in self.encode_word(piece.encode().decode("latin-1").translate(self.table))]
-        found = self.chunks[chunk] = (" ".join([str(self.ids[t]) for t in tokens]), len(tokens), " ".join(tokens))
+            pieces = self.split(chunk.lower() if chunk.isascii() else unicodedata.normalize("NFC", chunk).lower())
+        tokens = []
+        for piece in pieces:  # printable ASCII stands for itself in the byte alphabet
+            plain = piece.isascii() and piece.isprintable()
+            tokens += self.encode_word(piece if plain else piece.encode().decode("latin-1").translate(self.table))
+        found = self.chunks[chunk] = (" ".join([self.id_text[t] for t in tokens]), len(tokens), " ".join(tokens))
         return found
 
     def encode(self, text: str) -> tuple[str, int, str]:
