@@ -17,9 +17,11 @@ from __future__ import annotations
 import hashlib
 import json
 import unicodedata
+from array import array
 from collections.abc import Iterator
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,7 +29,9 @@ from pyspark.sql import functions as F
 from sentrel.llm.common import batches
 
 #: Chunks of text whose encoding is kept by each worker, and pairs of tokens whose compatibility is kept.
-CHUNKS_KEPT, PAIRS_KEPT = 320_000, 400_000
+CHUNKS_KEPT, PAIRS_KEPT = 120_000, 250_000
+#: Slots that tell which chunks were met before: a chunk is kept from its second time on, so one-off chunks take no room.
+SLOTS = 1 << 21
 
 
 def byte_alphabet() -> list[str]:
@@ -85,6 +89,7 @@ class PrefixBpe:
         self.pairs: dict[tuple[str, str], bool] = {}
         self.chunks: dict[str, tuple[str, int, str]] = {}
         self.older: dict[str, tuple[str, int, str]] = {}
+        self.met, self.marks = bytearray(SLOTS), 0
 
     def merge(self, symbols: list[str]) -> list[str]:
         """The merge loop itself; used on single tokens and pairs of tokens only."""
@@ -177,7 +182,14 @@ class PrefixBpe:
         for piece in pieces:  # printable ASCII stands for itself in the byte alphabet
             plain = piece.isascii() and piece.isprintable()
             tokens += self.encode_word(piece if plain else piece.encode().decode("latin-1").translate(self.table))
-        found = self.chunks[chunk] = (" ".join([self.id_text[t] for t in tokens]), len(tokens), " ".join(tokens))
+        found = (" ".join([self.id_text[t] for t in tokens]), len(tokens), self.decode([self.ids[t] for t in tokens]))
+        slot = hash(chunk) % SLOTS
+        if self.met[slot]:
+            self.chunks[chunk] = found
+        else:
+            if self.marks >= SLOTS // 2:
+                self.met, self.marks = bytearray(SLOTS), 0
+            self.met[slot], self.marks = 1, self.marks + 1
         return found
 
     def encode(self, text: str) -> tuple[str, int, str]:
@@ -227,17 +239,19 @@ def encode_table(docs: DataFrame, tokenizer: str, text: str = "text", keep: list
     names = [*keep, *(["ids"] if with_ids else []), "n_tokens", "ids_sha256", "decoded_sha256"]
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pa.default_memory_pool().release_unused()  # what earlier stages left in a worker that is used again
         bpe = encoder(shared.value)
-        for b in batches(it):
-            ids, counts, ids_sha, text_sha = [], [], [], []
+        for b in batches(it, 1 << 21):
+            ids, ends, counts, ids_sha, text_sha = array("i"), [0], [], [], []
             for t in b.column(len(keep)):
                 joined, n, decoded = bpe.encode(t.as_py())
                 counts.append(n)
                 ids_sha.append(hashlib.sha256(joined.encode()).hexdigest())
                 text_sha.append(hashlib.sha256(decoded.encode()).hexdigest())
                 if with_ids:
-                    ids.append([int(x) for x in joined.split(" ")] if joined else [])
-            made = ([pa.array(ids, pa.list_(pa.int32()))] if with_ids else []) + [pa.array(counts, pa.int64()), pa.array(ids_sha), pa.array(text_sha)]
+                    ids.extend(map(int, joined.split()))
+                    ends.append(len(ids))
+            made = ([pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(ids, np.int32)))] if with_ids else []) + [pa.array(counts, pa.int64()), pa.array(ids_sha), pa.array(text_sha)]
             yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], *made], names)
 
     from pyspark.sql.types import _parse_datatype_string
