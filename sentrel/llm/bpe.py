@@ -26,10 +26,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sentrel.llm.common import batches
+from sentrel.llm.common import batches, release
 
 #: Chunks of text whose encoding is kept by each worker, and pairs of tokens whose compatibility is kept.
-CHUNKS_KEPT, PAIRS_KEPT = 120_000, 250_000
+CHUNKS_KEPT, PAIRS_KEPT = 360_000, 250_000
 #: Slots that tell which chunks were met before: a chunk is kept from its second time on, so one-off chunks take no room.
 SLOTS = 1 << 21
 
@@ -49,8 +49,7 @@ class PrefixBpe:
         import regex
         import tokenizers
 
-        text = spec.decode()
-        spec = json.loads(text)
+        spec = json.loads(spec)
         model, self.suffix = spec["model"], spec["model"]["end_of_word_suffix"] or ""
         if not self.suffix or model["type"] != "BPE" or spec["decoder"] is not None:
             raise ValueError("a BPE file with an end-of-word suffix and no decoder is needed")
@@ -62,6 +61,7 @@ class PrefixBpe:
         self.id_text = {t: str(i) for t, i in self.ids.items()}
         added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.tokens = {i: t for t, i in self.ids.items()} | {i: t for t, i in added.items()}
+        self.shown = {str(i): t for i, t in self.tokens.items()}
         self.added = added
         self.special = regex.compile("(" + "|".join(map(regex.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
         pattern = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
@@ -70,7 +70,9 @@ class PrefixBpe:
         self.separators = regex.compile(r"[\x1C-\x1F]").search
         # Beyond the Latin blocks Unicode versions differ, so normalising and splitting are left to the library there.
         self.wide = regex.compile(r"[^\x00-\u024F]").search
-        self.normal = tokenizers.Tokenizer.from_str(text).normalizer.normalize_str
+        # The normalizer alone is wanted, so the library gets the file without its vocabulary.
+        bare = spec | {"added_tokens": [], "post_processor": None, "model": model | {"vocab": {}, "merges": [], "unk_token": None}}
+        self.normal = tokenizers.Tokenizer.from_str(json.dumps(bare)).normalizer.normalize_str
         self.wide_split = tokenizers.pre_tokenizers.Split(tokenizers.Regex(pattern), "removed", invert=True).pre_tokenize_str
         self.byte = byte_alphabet()
         self.table = {b: c for b, c in enumerate(self.byte)}
@@ -87,8 +89,8 @@ class PrefixBpe:
                 self.inside.add_word(t, t)
         self.inside.make_automaton()
         self.pairs: dict[tuple[str, str], bool] = {}
-        self.chunks: dict[str, tuple[str, int, str]] = {}
-        self.older: dict[str, tuple[str, int, str]] = {}
+        self.chunks: dict[str, str] = {}
+        self.older: dict[str, str] = {}
         self.met, self.marks = bytearray(SLOTS), 0
 
     def merge(self, symbols: list[str]) -> list[str]:
@@ -166,8 +168,8 @@ class PrefixBpe:
             at -= len(last[at])
         return out[::-1]
 
-    def chunk(self, chunk: str) -> tuple[str, int, str]:
-        """Ids joined by spaces, how many, and the tokens joined by spaces, of what stands between two white spaces."""
+    def chunk(self, chunk: str) -> str:
+        """Ids, joined by spaces, of what stands between two white spaces."""
         found = self.chunks.get(chunk) or self.older.get(chunk)
         if len(self.chunks) >= CHUNKS_KEPT // 2:
             self.older, self.chunks = self.chunks, {}
@@ -182,7 +184,7 @@ class PrefixBpe:
         for piece in pieces:  # printable ASCII stands for itself in the byte alphabet
             plain = piece.isascii() and piece.isprintable()
             tokens += self.encode_word(piece if plain else piece.encode().decode("latin-1").translate(self.table))
-        found = (" ".join([self.id_text[t] for t in tokens]), len(tokens), self.decode([self.ids[t] for t in tokens]))
+        found = " ".join([self.id_text[t] for t in tokens])
         slot = hash(chunk) % SLOTS
         if self.met[slot]:
             self.chunks[chunk] = found
@@ -197,16 +199,14 @@ class PrefixBpe:
         get, out = self.chunks.get, []
         for k, part in enumerate(self.special.split(text) if any(a in text for a in self.added) else [text]):
             if k % 2:
-                out.append((str(self.added[part]), 1, part))
+                out.append(str(self.added[part]))
             else:
                 # Python's split also cuts at the four separators 1C to 1F, which are not white space to the library.
                 found = self.space.split(part) if self.separators(part) else part.split()
                 out += [get(c) or self.chunk(c) for c in found]
-        out = [x for x in out if x[1]]
-        if not out:
-            return "", 0, ""
-        ids, counts, texts = zip(*out, strict=True)
-        return " ".join(ids), sum(counts), " ".join(texts)
+        joined = " ".join(filter(None, out))
+        ids = joined.split()
+        return joined, len(ids), " ".join(map(self.shown.__getitem__, ids))
 
     def ids_of(self, text: str) -> list[int]:
         joined = self.encode(text)[0]
@@ -239,7 +239,7 @@ def encode_table(docs: DataFrame, tokenizer: str, text: str = "text", keep: list
     names = [*keep, *(["ids"] if with_ids else []), "n_tokens", "ids_sha256", "decoded_sha256"]
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pa.default_memory_pool().release_unused()  # what earlier stages left in a worker that is used again
+        release()  # what earlier stages left in a worker that is used again
         bpe = encoder(shared.value)
         for b in batches(it, 1 << 21):
             ids, ends, counts, ids_sha, text_sha = array("i"), [0], [], [], []

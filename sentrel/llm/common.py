@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 
@@ -52,3 +55,13 @@ def batches(it, cap: int = 1 << 23):
             rows = max(1, int(b.num_rows * cap / b.nbytes))
             for i in range(0, b.num_rows, rows):
                 yield b.slice(i, rows)
+
+
+def release() -> None:
+    """Give back to the system what a reused Python worker holds but no longer needs (Arrow's pool, the C library's free pages)."""
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
