@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sentrel.llm.common import batches, release
+from sentrel.llm.common import batches, kept_model
 
 #: Chunks of text whose encoding is kept by each worker, and pairs of tokens whose compatibility is kept.
 CHUNKS_KEPT, PAIRS_KEPT = 360_000, 250_000
@@ -217,15 +217,13 @@ class PrefixBpe:
         return " ".join(self.tokens[i] for i in ids if i in self.tokens)
 
 
-_loaded: dict[bytes, PrefixBpe] = {}
-
-
 def encoder(spec: bytes) -> PrefixBpe:
     """One encoder per worker and file."""
-    key = hashlib.sha256(spec).digest()
-    if key not in _loaded:
-        _loaded[key] = PrefixBpe(spec)
-    return _loaded[key]
+    return kept_model(_key(spec), lambda: PrefixBpe(spec))
+
+
+def _key(spec: bytes) -> str:
+    return f"bpe-{hashlib.sha256(spec).hexdigest()}"
 
 
 def encode_table(docs: DataFrame, tokenizer: str, text: str = "text", keep: list[str] | None = None, with_ids: bool = True) -> DataFrame:
@@ -239,9 +237,8 @@ def encode_table(docs: DataFrame, tokenizer: str, text: str = "text", keep: list
     names = [*keep, *(["ids"] if with_ids else []), "n_tokens", "ids_sha256", "decoded_sha256"]
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        release()  # what earlier stages left in a worker that is used again
         bpe = encoder(shared.value)
-        for b in batches(it, 1 << 21):
+        for b in batches(it, 1 << 21, _key(shared.value)):
             ids, ends, counts, ids_sha, text_sha = array("i"), [0], [], [], []
             for t in b.column(len(keep)):
                 joined, n, decoded = bpe.encode(t.as_py())

@@ -46,22 +46,41 @@ class Scratch:
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def batches(it, cap: int = 1 << 23):
-    """Arrow batches of text columns, re-cut so that no batch holds much more than ``cap`` bytes (one row at least)."""
-    for b in it:
-        if b.nbytes <= cap or b.num_rows <= 1:
-            yield b
-        else:
-            rows = max(1, int(b.num_rows * cap / b.nbytes))
-            for i in range(0, b.num_rows, rows):
-                yield b.slice(i, rows)
+#: What a Python worker keeps between tasks: one operator's model at a time, so that the operators' models don't add up.
+_model: dict[str, object] = {}
+
+
+def kept_model(key: str, build):
+    """The model of that key, built if the worker doesn't have it."""
+    if key not in _model:
+        release()
+        _model[key] = build()
+    return _model[key]
 
 
 def release() -> None:
-    """Give back to the system what a reused Python worker holds but no longer needs (Arrow's pool, the C library's free pages)."""
+    """Drop the kept model, and give back to the system what a reused worker no longer needs (Arrow's pool, the C library's free pages)."""
     import pyarrow as pa
 
-    gc.collect()
+    if _model:
+        _model.clear()
+        gc.collect()
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
         ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def batches(it, cap: int = 1 << 23, model: str | None = None):
+    """Arrow batches of text columns, re-cut so that no batch holds much more than ``cap`` bytes (one row at least).
+
+    A model that another operator left in the worker goes first; ``model`` is the key of the one in use.
+    """
+    if model not in _model:
+        release()
+    for b in it:
+        if b.nbytes <= cap or b.num_rows <= 1:
+            yield b
+        else:
+            rows = max(1, int(b.num_rows * cap / b.nbytes))
+            for i in range(0, b.num_rows, rows):
+                yield b.slice(i, rows)
