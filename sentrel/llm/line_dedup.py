@@ -1,4 +1,4 @@
-"""Removal of repeated line runs, over a suffix array built by distributed prefix doubling.
+"""Removal of repeated line runs, by equality ranks from distributed prefix doubling (no suffix order, no LCP array).
 
 A line's id is a hash of its text; a document is the sequence of its lines' ids. Suffixes are ranked by prefix doubling: the rank of
 2^(k+1) lines from a position is named by the ranks of its two halves, which a join on the position brings together. Ranks
