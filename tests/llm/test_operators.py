@@ -134,22 +134,84 @@ def test_language_model(spark, docs, corpus, empty):
         assert r["base_score"] == pytest.approx(sum(np.log10((train[w] + 1) / (n + v + 1)) for w in said))
         assert r["score"] < 0
     assert hpylm.score_documents(empty).count() == 0
-
-
-def test_predictions_sum_to_one():
-    rnd = np.random.default_rng(1)
-    n, model = 50, None
-    cells = [(w, g, float(rnd.integers(1, 200))) for w in range(n) for g in sorted(rnd.choice(5, 2, replace=False))]
-    word, context, count = (np.array(x) for x in zip(*cells, strict=True))
-    key = word.astype(np.int64) * 7919 + 11
-    model = hpylm.Model(int(count.sum()), n, np.bincount(context, count, hpylm.CONTEXTS), 0.5)
-    for _ in range(hpylm.SWEEPS):
-        for table, served in model.seat(word, key, context, count, n):
-            assert (table >= 1).all() and (table <= count).all()
-        model.sweeps.append(hpylm.Totals(np.bincount(context, table, hpylm.CONTEXTS), 0.4))
-    through, added = model.predict(word, key, context, count, n)
-    np.add.at(through, (word, context), added)
-    assert np.allclose((through.sum(0) + model.unknown())[:5], 1)
+    assert {r["n_known"] for r in hpylm.score_documents(docs.where("doc_id IS NULL OR crc32(cast(doc_id AS string)) % 7 = 2")).where("held_out").collect()} != set()
+
+
+def seated_model(monkeypatch, texts, hot=6):
+    """A model of one shard with few hot words, and its cells: each kind holds all pairs of known words, also those that never occurred."""
+    monkeypatch.setattr(hpylm, "HOT", hot)
+    said = [w for t in texts for w in t.split()]
+    count = Counter(said)
+    ranked = [w for w, _ in count.most_common()]
+    at = {w: i for i, w in enumerate(ranked)}
+    pairs = Counter(itertools.pairwise(said))
+    kinds = [[], [], []]
+    for u in ranked:
+        for w in ranked:
+            c = pairs[u, w]
+            if at[u] < hot and at[w] < hot:
+                kinds[0].append((at[u], at[w], c))
+            elif at[u] < hot:
+                kinds[1].append((at[w] - hot, at[u], c))
+    for w in ranked[hot:]:
+        kinds[1].append((at[w] - hot, hot, sum(pairs[u, w] for u in ranked[hot:])))
+    for u in ranked[hot:]:
+        kinds[2] += [(at[u] - hot, at[w], pairs[u, w]) for w in ranked[:hot]] + [(at[u] - hot, hot, sum(pairs[u, w] for w in ranked[hot:]))]
+    cells = hpylm.Cells(*(tuple(np.array(x) for x in zip(*sorted(k), strict=True)) for k in kinds))
+    customers = np.array([sum(c for (u, _), c in pairs.items() if u == w) for w in ranked[:hot]] + [cells.word[2][cells.word[1] == hot].sum()], float)
+    model = hpylm.Model(len(said), len(count), customers, 0.6)
+    for sweep in range(hpylm.SWEEPS + 1):
+        tables = cells.one_each()
+        for tables in cells.seatings(model, 0, sweep):  # noqa: B007
+            for t, k in zip(tables, (cells.pair, cells.word, cells.context), strict=True):
+                assert (t <= k[2]).all() and ((t > 0) == (k[2] > 0)).all()
+        places = cells.totals(tables)
+        model.sweeps.append(hpylm.Totals(places[: hot + 1], places[hot + 1 : 2 * hot + 2], places[2 * hot + 2 :][:4]))
+    return model, cells
+
+
+def test_predictions_sum_to_one(monkeypatch):
+    rnd = random.Random(1)
+    model, cells = seated_model(monkeypatch, [" ".join(rnd.choices("abcdefghijkl", [90, 60, 40, 20, 10, 8, 6, 5, 3, 2, 2, 1], k=4000))])
+    p = cells.predictions(model, 0)
+    unknown = np.mean([(1 + 0.6 * s.context) / (1 + model.customers) * s.which(np.zeros(1)) * np.append(np.full(6, s.parent[-1]), 1.0) for s in model.sweeps[1 + hpylm.BURN :]], axis=0)
+    for u in range(7):  # each hot context over all words, then the shared restaurant over the rare ones
+        assert p[0][cells.pair[0] == u].sum() + p[1][cells.word[1] == u].sum() + unknown[u] == pytest.approx(1)
+    for u in set(cells.context[0].tolist()):  # each rare context over the hot words and "a rare word"
+        assert p[2][cells.context[0] == u].sum() == pytest.approx(1)
+
+
+def test_seating_like_the_exact_distribution(monkeypatch):
+    """Beyond EXACT customers, seatings drawn forward and weighed have the mean and the spread of t ~ A^t S_d(c, t)."""
+    for count, weight in ((200, 0.3), (200, 5.0), (600, 40.0), (2000, 2.0), (2000, 100.0)):
+        row = hpylm.stirling(0.6, count)[count] + np.log(weight) * np.arange(1, count + 1)
+        p = np.exp(row - row.max())
+        p /= p.sum()
+        t = np.arange(1, count + 1)
+        mean, spread = (p * t).sum(), np.sqrt((p * t * t).sum() - (p * t).sum() ** 2)
+        got = hpylm.draw(np.full(4000, count), np.full(4000, weight), 0.6, np.random.default_rng(5), hpylm.stirling(0.6, hpylm.EXACT))
+        assert got.mean() == pytest.approx(mean, rel=0.03) and got.std() == pytest.approx(spread, rel=0.15)
+
+
+def test_packed_lists():
+    rnd = np.random.default_rng(4)
+    arrays = [np.sort(rnd.integers(0, 1 << 63, 500).astype(np.uint64)), rnd.integers(0, 1 << 32, 500).astype(np.uint32)]
+    assert all((a == b).all() for a, b in zip(arrays, hpylm.unpack(hpylm.pack(arrays), 1), strict=True))
+    assert hpylm.unpack(hpylm.pack([a[:0] for a in arrays]), 1)[0].size == 0
+
+
+def test_model_beats_the_base_on_held_out_texts(spark):
+    """Texts of a bigram chain: held-out perplexity by the model is below that by the base."""
+    rnd = random.Random(3)
+    follows = {w: [rnd.choice("abcdefghijklmnopqrst") for _ in range(3)] for w in "abcdefghijklmnopqrst"}
+    rows = []
+    for i in range(200):
+        said = ["a"]
+        for _ in range(60):
+            said.append(rnd.choice(follows[said[-1]]))
+        rows.append((i, " ".join(said)))
+    got = hpylm.score_documents(spark.createDataFrame(rows, "doc_id long, text string")).where("held_out").agg(F.sum("score"), F.sum("base_score"), F.sum("n_tokens")).first()
+    assert 10 ** (-got[0] / got[2]) < 0.4 * 10 ** (-got[1] / got[2])
 
 
 def test_chat(spark):
