@@ -45,8 +45,8 @@ from sentrel.llm.common import Scratch, batches
 HOT = 65536
 SWEEPS, BURN, EXACT, PATHS = 4, 1, 32, 4
 STRENGTH = 1.0
-#: Words that a task counts before it passes the counts on; tokens to a shard; places to a block of totals.
-COUNTED, SHARD_TOKENS, BLOCK = 200_000, 1_000_000, 1024
+#: Words that a task counts before it passes the counts on; tokens to a shard; places to a block of totals; bytes of text to a batch.
+COUNTED, SHARD_TOKENS, BLOCK, BATCH = 200_000, 600_000, 1024, 1 << 22
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -58,24 +58,25 @@ def tokens(text: str | None) -> list[bytes]:
 
 
 def pack(arrays: list[np.ndarray]) -> bytes:
-    """Unsigned 64-bit (the first, as differences) and 32-bit arrays of one length, byte plane by byte plane, compressed."""
+    """Arrays of one length, the first unsigned 64-bit integers (as differences), byte plane by byte plane, compressed."""
     if not len(arrays[0]):
         return b""
     first = np.diff(arrays[0], prepend=arrays[0][:1] * 0)
-    planes = [a.view(np.uint8).reshape(len(a), -1).T.tobytes() for a in (first, *arrays[1:])]
-    raw = b"".join(planes)
+    raw = b"".join(a.view(np.uint8).reshape(len(a), -1).T.tobytes() for a in (first, *arrays[1:]))
     return len(first).to_bytes(8, "little") + pa.Codec("zstd", compression_level=1).compress(raw, asbytes=True)
 
 
-def unpack(data: bytes, more: int) -> list[np.ndarray]:
-    n = int.from_bytes(data[:8], "little") if data else 0
-    if not n:
-        return [np.zeros(0, np.uint64), *[np.zeros(0, np.uint32)] * more]
-    raw = np.frombuffer(pa.decompress(data[8:], n * (8 + 4 * more), "zstd"), np.uint8)
-    out = [np.cumsum(np.ascontiguousarray(raw[: 8 * n].reshape(8, n).T).view(np.uint64).ravel(), dtype=np.uint64)]
-    for k in range(more):
-        out.append(np.ascontiguousarray(raw[(8 + 4 * k) * n : (12 + 4 * k) * n].reshape(4, n).T).view(np.uint32).ravel())
-    return out
+def unpack(data: bytes, *kinds: str) -> list[np.ndarray]:
+    """What was packed; ``kinds`` are the types of all arrays but the first."""
+    types = [np.dtype("u8"), *(np.dtype(k) for k in kinds)]
+    if not data:
+        return [np.zeros(0, k) for k in types]
+    n, out, at = int.from_bytes(data[:8], "little"), [], 0
+    raw = np.frombuffer(pa.decompress(data[8:], n * sum(k.itemsize for k in types), "zstd"), np.uint8)
+    for k in types:
+        out.append(np.ascontiguousarray(raw[at : at + n * k.itemsize].reshape(k.itemsize, n).T).view(k).ravel())
+        at += n * k.itemsize
+    return [np.cumsum(out[0], dtype=np.uint64), *out[1:]]
 
 
 def spread(x: np.ndarray, parts: int) -> np.ndarray:
@@ -303,7 +304,7 @@ def _emit(shared, end: int, base, parts: int, schema: pa.Schema):
         from xxhash import xxh3_64_intdigest
 
         get, unigram = shared.value.get, base.value
-        for b in batches(it):
+        for b in batches(it, BATCH):
             uid = uuid.uuid4().int >> 65
             ids, hashes, sizes = [], [], []
             for t in b.column(2):
@@ -362,7 +363,7 @@ def _gather(names: list[str], uids_type: pa.DataType):
         uids = [x[0] for x in held]
         out = []
         for kind in range(3):
-            parts = [unpack(x[1 + kind], 3) for x in held]
+            parts = [unpack(x[1 + kind], "u4", "u4", "u4") for x in held]
             batch = np.repeat(np.arange(len(parts), dtype=np.uint32), [len(x[0]) for x in parts])
             g, code, place, n = (np.concatenate([x[i] for x in parts]) for i in range(4))
             order = np.lexsort((code, g))
@@ -401,7 +402,7 @@ def _shards(it: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for i in range(b.num_rows):
             kinds, at, cells = [], [], []
             for k in range(3):
-                g, code, batch, place, n = unpack(b.column(2 + k)[i].as_py(), 4)
+                g, code, batch, place, n = unpack(b.column(2 + k)[i].as_py(), "u4", "u4", "u4", "u4")
                 cell = starts(g, code)
                 first = np.flatnonzero(np.diff(cell, prepend=-1))
                 count = np.bincount(cell, n * (place & 1)) if len(cell) else np.zeros(0)
@@ -441,33 +442,36 @@ def _added(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _scores(model):
-    """Of each shard and batch: (uid, data), the sums over the shard's occurrences in each of the batch's documents."""
+    """Of each shard and batch the sums over the shard's occurrences in the batch's documents: scores, and for rare words known and base."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
         for p, uids, kinds, at, cells in _shards(it):
             logs = [np.log10(x) for x in cells.predictions(m, p)]
-            places, values = [], []
-            for k, (_, _, batch, place, n) in enumerate(kinds):
-                places.append(batch.astype(np.int64) << 32 | place >> 1)
-                more = np.zeros((2, len(n)))
-                if k == 1:
-                    total = _sums(cells.word[0], cells.word[2])[cells.word[0]][at[1]]
-                    more = np.stack([n * np.log10((total + 1) / (m.tokens + m.words + 1)), n * (total > 0)])
-                values.append(np.stack([n * logs[k][at[k]], *more]))
+            total = _sums(cells.word[0], cells.word[2])[cells.word[0]][at[1]]
+            rare = [x[3] >> 1 for x in kinds]
+            places = [x[2].astype(np.int64) << 32 | r for x, r in zip(kinds, rare, strict=True)]
             where, inverse = np.unique(np.concatenate(places), return_inverse=True)
-            sums = [np.bincount(inverse, x, len(where)) for x in np.concatenate(values, 1)]
-            cut = np.searchsorted(where >> 32, np.arange(len(uids) + 1))
-            data = [(where[i:j] & 0xFFFFFFFF).astype(np.uint32).tobytes() + b"".join(s[i:j].tobytes() for s in sums) for i, j in zip(cut, cut[1:], strict=False)]
-            some = [k for k, d in enumerate(data) if d]
-            yield pa.RecordBatch.from_arrays([pa.array([uids[k] for k in some], pa.int64()), pa.array([data[k] for k in some], pa.binary())], ["uid", "data"])
+            score = np.bincount(inverse, np.concatenate([x[4] * g[a] for x, g, a in zip(kinds, logs, at, strict=True)]), len(where))
+            some, inverse = np.unique(places[1], return_inverse=True)
+            base = np.bincount(inverse, kinds[1][4] * np.log10((total + 1) / (m.tokens + m.words + 1)), len(some))
+            known = np.bincount(inverse, kinds[1][4] * (total > 0), len(some))
+            cuts = [np.searchsorted(x >> 32, np.arange(len(uids) + 1)) for x in (where, some)]
+            made: list[list] = [[], [], []]
+            for k, uid in enumerate(uids):
+                (i, j), (v, w) = ((c[k], c[k + 1]) for c in cuts)
+                if i < j:
+                    made[0].append(uid)
+                    made[1].append(pack([(where[i:j] & 0xFFFFFFFF).astype(np.uint64), score[i:j].astype(np.float32)]))
+                    made[2].append(pack([(some[v:w] & 0xFFFFFFFF).astype(np.uint64), known[v:w].astype(np.uint32), base[v:w]]))
+            yield pa.RecordBatch.from_arrays([pa.array(made[0], pa.int64()), pa.array(made[1], pa.binary()), pa.array(made[2], pa.binary())], ["uid", "scores", "rare"])
 
     return run
 
 
 def _by_document(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows (uid, data) sorted by uid: (uid, doc, score, base, known), sums over the shards."""
-    last, held = None, None
+    """From rows (uid, scores, rare) sorted by uid: (uid, doc, score, base, known), sums over the shards."""
+    last, held = None, np.zeros((4, 0))
 
     def done() -> pa.RecordBatch:
         some = np.flatnonzero(held[3])
@@ -475,19 +479,18 @@ def _by_document(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays(cols, ["uid", "doc", "s", "b", "k"])
 
     for batch in it:
-        for uid, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            if held is not None and uid != last:
+        for uid, scores, rare in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if last is not None and uid != last:
                 yield done()
-                held = None
-            last, n = uid, len(data) // 28
-            doc = np.frombuffer(data, np.uint32, n).astype(np.int64)
-            size = int(doc[-1]) + 1
-            if held is None or held.shape[1] < size:
-                held = np.zeros((4, size)) if held is None else np.pad(held, ((0, 0), (0, size - held.shape[1])))
-            for k in range(3):
-                held[k, doc] += np.frombuffer(data, np.float64, n, 4 * n + 8 * n * k)
-            held[3, doc] = 1
-    if held is not None:
+                held = np.zeros((4, 0))
+            last = uid
+            (doc, score), (of, known, base) = unpack(scores, "f4"), unpack(rare, "u4", "f8")
+            held = np.pad(held, ((0, 0), (0, max(0, int(doc[-1]) + 1 - held.shape[1]))))
+            held[0, doc.astype(np.int64)] += score
+            held[3, doc.astype(np.int64)] = 1
+            held[1, of.astype(np.int64)] += base
+            held[2, of.astype(np.int64)] += known
+    if last is not None:
         yield done()
 
 
@@ -499,7 +502,16 @@ def score_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     counts = rows.where("NOT held_out").select("text").mapInArrow(_count, "w binary, n long").groupBy("w").agg(F.sum("n").alias("n"))
     counts = scratch.save(counts, "counts")
     n_tokens, n_words = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    top = {bytes(r["w"]): r["n"] for r in counts.where("w <> X''").orderBy(F.desc("n"), "w").limit(HOT - 1).collect()}  # bounded
+    # The hot tokens, all those above a count that no more than HOT have: a histogram of fixed size tells which count that is.
+    step = F.floor(F.log("n") * 64).cast("int")
+    left, least = HOT - 1, None
+    for r in counts.where("w <> X''").groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("words")).orderBy(F.desc("step")).collect():
+        left -= r["words"]
+        if left < 0:
+            break
+        least = r["step"]
+    found = counts.where("w <> X''").where(step >= least).collect() if least is not None else []  # bounded by HOT
+    top = {bytes(r["w"]): r["n"] for r in sorted(found, key=lambda r: (-r["n"], bytes(r["w"])))}
     ends = counts.where("w = X''").first()
     top[b""] = ends["n"] if ends else 0
     hot, customers = {w: i for i, w in enumerate(top)}, np.zeros(HOT + 1)
@@ -528,7 +540,7 @@ def score_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
         if sweep == 0:
             model.customers[HOT], model.discount = rest[4], _discount(rest[5], rest[6])
         model.sweeps.append(Totals(flat[:size], flat[size : 2 * size], rest[:4]))
-    sums = lists.mapInArrow(_scores(share(model)), "uid long, data binary").repartition("uid").sortWithinPartitions("uid")
+    sums = lists.mapInArrow(_scores(share(model)), "uid long, scores binary, rare binary").repartition("uid").sortWithinPartitions("uid")
     sums = sums.mapInArrow(_by_document, "uid long, doc int, s double, b double, k long")
     both = dealt.where("doc IS NOT NULL").select("uid", "doc", "doc_id", "held_out", "n_tokens", "known", "base").join(sums, ["uid", "doc"])
     return both.select(

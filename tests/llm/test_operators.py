@@ -196,8 +196,8 @@ def test_seating_like_the_exact_distribution(monkeypatch):
 def test_packed_lists():
     rnd = np.random.default_rng(4)
     arrays = [np.sort(rnd.integers(0, 1 << 63, 500).astype(np.uint64)), rnd.integers(0, 1 << 32, 500).astype(np.uint32)]
-    assert all((a == b).all() for a, b in zip(arrays, hpylm.unpack(hpylm.pack(arrays), 1), strict=True))
-    assert hpylm.unpack(hpylm.pack([a[:0] for a in arrays]), 1)[0].size == 0
+    assert all((a == b).all() for a, b in zip(arrays, hpylm.unpack(hpylm.pack(arrays), "u4"), strict=True))
+    assert hpylm.unpack(hpylm.pack([a[:0] for a in arrays]), "u4")[0].size == 0
 
 
 def test_model_beats_the_base_on_held_out_texts(spark):
