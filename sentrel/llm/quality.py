@@ -1,13 +1,13 @@
 """A byte-level convolutional quality classifier in numpy.
 
-Filters of ``WIDTH`` bytes (a learned weight for each byte value at each place) slide over the whole text by ``STRIDE`` bytes. Their
+Filters of ``WIDTH`` bytes (a learned weight for each byte value at each place) slide over the whole text byte by byte. Their
 responses are max-pooled in chunks of two blocks of ``BLOCK`` bytes that overlap by one block and cover the document; the chunks'
 values are combined by their mean, maximum and minimum (a chunk in which few filters respond tells of repetition), and a logistic layer gives one probability.
 
-It is fitted on the driver on a bounded sample of labelled rows: ``PER_CLASS`` rows of each label, those with the smallest hash
-of their id, ``SAMPLE_CHARS`` characters of each from a place that the hash chooses. Defined cases: null and empty texts are scored as one
-block of padding; with labels of fewer than two kinds the score is the known label's (else 0.5); null labels are unused; of
-contradicting labels of one id the smaller counts; a labelled id that occurs in several rows counts once for each of them.
+It is fitted on the driver on a bounded sample of labelled rows: ``PER_CLASS`` ids of each label, those with the smallest hash, and the whole
+text of each. Defined cases: null and empty texts are scored as one block of padding; a text's score doesn't depend on its neighbours;
+with labels of fewer than two kinds the score is the known label's (else 0.5); null labels are unused; of contradicting labels of one
+id the smaller counts; of several rows with a labelled id the smallest text counts; a column named as the score is replaced.
 """
 
 from __future__ import annotations
@@ -22,18 +22,18 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 
 from sentrel.llm.common import batches
 
-WIDTH, STRIDE, BLOCK, FILTERS = 8, 2, 64, 24
-#: Bounds of the training sample.
-PER_CLASS, SAMPLE_CHARS = 1000, 4096
+WIDTH, BLOCK, FILTERS = 8, 64, 24
+#: The bound of the training sample, in rows of each label; and the bytes of text that one step learns from (one text at least).
+PER_CLASS, STEP_BYTES = 1000, 1 << 21
 EPOCHS, BATCH, RATE, SEED = 12, 32, 0.01, 7
 
 
 def laid_out(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """The texts' bytes, each padded to whole blocks and followed by what the last filter reads; and each text's blocks.
+    """The texts' bytes, each padded to whole blocks with room for what the last filter reads; and each text's blocks.
 
     Padding is byte 0 (which a text may hold too; it is one more byte value).
     """
-    count = np.array([max(1, -(-len(t) // BLOCK)) for t in texts], np.int64)
+    count = np.array([max(1, -(-(len(t) + WIDTH - 1) // BLOCK)) for t in texts], np.int64)
     flat = np.zeros(int(count.sum()) * BLOCK + WIDTH, np.uint8)
     at = 0
     for t, n in zip(texts, count, strict=True):
@@ -51,22 +51,24 @@ class ByteCnn:
         self.out = np.zeros(1, np.float32)
         self.constant: float | None = None
 
-    def blocks(self, flat: np.ndarray, places: bool = False):
-        """Max-pooled responses of each block, and where they are if asked for."""
-        n = (len(flat) - WIDTH) // BLOCK
+    def blocks(self, flat: np.ndarray, count: np.ndarray, places: bool = False):
+        """Max-pooled responses of each block, and where they are if asked for. Places at a text's end whose filters would reach into the next text
+        are left out; they hold padding only."""
+        n, last = (len(flat) - WIDTH) // BLOCK, np.cumsum(count) - 1
         pooled, where = np.empty((n, FILTERS), np.float32), np.empty((n, FILTERS), np.int64) if places else None
-        step = 1024  # blocks at a time, to stay in the cache
+        step = 512  # blocks at a time, to stay in the cache
         for i in range(0, n, step):
             m = min(step, n - i)
-            size = m * BLOCK // STRIDE
             at = flat[i * BLOCK : (i + m) * BLOCK + WIDTH]
-            got = self.table[0][at[0 : size * STRIDE : STRIDE]]
+            got = self.table[0][at[: m * BLOCK]]
             for k in range(1, WIDTH):
-                got += self.table[k][at[k : k + size * STRIDE : STRIDE]]
-            got = got.reshape(m, BLOCK // STRIDE, FILTERS)
+                got += self.table[k][at[k : k + m * BLOCK]]
+            got = got.reshape(m, BLOCK, FILTERS)
+            ends = last[np.searchsorted(last, i) : np.searchsorted(last, i + m)] - i
+            got[ends, BLOCK - WIDTH + 1 :] = -np.inf
             pooled[i : i + m] = got.max(1)
             if places:
-                where[i : i + m] = got.argmax(1) * STRIDE + (np.arange(i, i + m) * BLOCK)[:, None]
+                where[i : i + m] = got.argmax(1) + (np.arange(i, i + m) * BLOCK)[:, None]
         return np.maximum(pooled + self.bias, 0), where
 
     @staticmethod
@@ -88,8 +90,9 @@ class ByteCnn:
         if not texts:
             return np.zeros(0)
         flat, count = laid_out(texts)
-        values = self.combine(self.blocks(flat)[0], count)[1]
-        return 1 / (1 + np.exp(-(values @ self.weight + self.out[0]).astype(np.float64)))
+        values = self.combine(self.blocks(flat, count)[0], count)[1]
+        # Row by row, so that a score doesn't depend on the batch.
+        return 1 / (1 + np.exp(-((values.astype(np.float64) * self.weight).sum(1) + self.out[0])))
 
     def fit(self, texts: list[bytes], label: np.ndarray) -> ByteCnn:
         """Adam on the logistic loss; both labels weigh as often as they occur in the sample."""
@@ -100,9 +103,7 @@ class ByteCnn:
         params = [self.table, self.bias, self.weight, self.out]
         first, second, t = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params], 0
         for epoch in range(EPOCHS):
-            order = rng.permutation(len(texts))
-            for i in range(0, len(order), BATCH):
-                some = order[i : i + BATCH]
+            for some in self.steps(rng.permutation(len(texts)), texts):
                 grads = self.gradients([texts[j] for j in some], label[some])
                 t += 1
                 rate = RATE * (1 - epoch / EPOCHS)
@@ -112,9 +113,21 @@ class ByteCnn:
                     p -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
         return self
 
+    @staticmethod
+    def steps(order: np.ndarray, texts: list[bytes]) -> Iterator[np.ndarray]:
+        """``BATCH`` texts each, fewer where they are long."""
+        held: list[int] = []
+        for j in order.tolist():
+            if held and (len(held) == BATCH or sum(len(texts[i]) for i in held) + len(texts[j]) > STEP_BYTES):
+                yield np.array(held)
+                held = []
+            held.append(j)
+        if held:
+            yield np.array(held)
+
     def gradients(self, texts: list[bytes], label: np.ndarray) -> list[np.ndarray]:
         flat, count = laid_out(texts)
-        pooled, where = self.blocks(flat, places=True)
+        pooled, where = self.blocks(flat, count, places=True)
         chunks, values = self.combine(pooled, count)
         error = (1 / (1 + np.exp(-(values @ self.weight + self.out[0]))) - label).astype(np.float32) / len(texts)
         text, start = np.repeat(np.arange(len(texts)), count), np.cumsum(count) - count
@@ -142,26 +155,26 @@ def remainder(doc_id: str, divisor: int):
     return F.pmod(F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")), F.lit(divisor))
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: int = PER_CLASS, chars: int = SAMPLE_CHARS) -> ByteCnn:
+def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: int = PER_CLASS) -> ByteCnn:
     """The classifier, from labelled rows that are not held out."""
     usable = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & (remainder("doc_id", 5) != 0)).groupBy("doc_id").agg(F.min(label).alias("label"))
-    order = F.xxhash64("doc_id")
-    some = [r for kind in (0, 1) for r in usable.where(F.col("label") == kind).orderBy(order, "doc_id").limit(per_class).collect()]
-    chosen = docs.sparkSession.createDataFrame(some, "doc_id long, label int")
-    place = F.pmod(order, F.greatest(F.length("text") - chars + 1, F.lit(1))).cast("int") + 1
-    found = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id").select("doc_id", "label", F.substring("text", place, F.lit(chars)).alias("text"))
-    rows = sorted(found.limit(4 * per_class).collect(), key=lambda r: (r["doc_id"], r["text"]))
+    order = [F.xxhash64("doc_id"), "doc_id"]
+    chosen = usable.where("label = 0").orderBy(*order).limit(per_class).unionAll(usable.where("label = 1").orderBy(*order).limit(per_class))
+    found = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")  # bounded by the sample
+    rows = found.groupBy("doc_id", "label").agg(F.min("text").alias("text")).collect()
+    rows = sorted(rows, key=lambda r: (str(r["doc_id"]), r["text"]))
     return ByteCnn().fit([r["text"].encode() for r in rows], np.array([r["label"] for r in rows], np.float32))
 
 
-def score(docs: DataFrame, model: ByteCnn, text: str = "text") -> DataFrame:
-    """``docs`` with a column ``score``: the probability of label 1, from the text alone."""
+def score(docs: DataFrame, model: ByteCnn, text: str = "text", name: str = "score") -> DataFrame:
+    """``docs`` with a column ``name``: the probability of label 1, from the text alone."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    docs = docs.drop(name) if name != text else docs
     names = docs.columns
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches(it, 4 << 20):
             texts = [(t.as_py() or "").encode() for t in b.column(names.index(text))]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(shared.value.score(texts), pa.float64())], [*names, "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(shared.value.score(texts), pa.float64())], [*names, name])
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("score", DoubleType())]))
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, DoubleType())]))

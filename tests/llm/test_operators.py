@@ -241,6 +241,35 @@ def test_quality(spark, docs, empty):
     assert quality.score(docs, quality.fit(table, labels.limit(0))).select("score").distinct().collect()[0][0] == 0.5
 
 
+def plain_score(model, text):
+    """The classifier by loops over places, blocks and chunks."""
+    n = max(1, -(-(len(text) + quality.WIDTH - 1) // quality.BLOCK))
+    data = text + bytes(n * quality.BLOCK - len(text))
+    places = [sum(model.table[k][data[i + k]] for k in range(quality.WIDTH)) + model.bias for i in range(len(data) - quality.WIDTH + 1)]
+    blocks = [np.maximum(np.max(places[i : i + quality.BLOCK], axis=0), 0) for i in range(0, len(data), quality.BLOCK)]
+    chunks = [np.maximum(blocks[i], blocks[i + 1] if i + 1 < n else blocks[i - 1]) if n > 1 else blocks[0] for i in range(n)]
+    values = np.concatenate([np.mean(chunks, 0), np.max(chunks, 0), np.min(chunks, 0)])
+    return 1 / (1 + np.exp(-(values @ model.weight + model.out[0])))
+
+
+def test_scores_like_plain_loops():
+    """Whole texts, at the borders of blocks too; neighbours in a batch don't matter."""
+    model, rnd = quality.ByteCnn(), np.random.default_rng(3)
+    texts = [rnd.integers(0, 256, n).astype(np.uint8).tobytes() for n in (0, 1, 56, 57, 58, 63, 64, 65, 500, 5000)]
+    assert np.allclose(model.score(texts), [plain_score(model, t) for t in texts], atol=1e-4)
+    assert np.array_equal(model.score(texts), np.concatenate([model.score([t]) for t in texts]))
+
+
+def test_quality_of_odd_tables(spark):
+    """Other id types, repeated ids, contradicting labels, a very long text and a column of the score's name."""
+    rows = [(f"d{i % 50}", ("good " if i % 2 else "bad ") * (40_000 if i == 7 else 20), "old") for i in range(60)] + [(None, None, None)]
+    table = spark.createDataFrame(rows, "doc_id string, text string, score string")
+    labels = spark.createDataFrame([(f"d{i}", i % 2) for i in range(50)] + [("d1", 0), ("d3", None)], "doc_id string, quality int")
+    got = quality.score(table, quality.fit(table, labels))
+    assert got.columns == ["doc_id", "text", "score"] and got.count() == len(rows)
+    assert [r["score"] for r in got.orderBy("doc_id", "text").collect()] == [r["score"] for r in quality.score(table.repartition(7), quality.fit(table.repartition(3), labels)).orderBy("doc_id", "text").collect()]
+
+
 def test_gradients():
     model = quality.ByteCnn()
     rnd = np.random.default_rng(2)
