@@ -9,7 +9,7 @@ stores the last token of each prefix, and back-pointers give the ids. Compatibil
 The tokenizer file (the ``tokenizers`` JSON format, BPE with an end-of-word suffix, split by a pattern, byte-level
 alphabet) is a parameter; its bytes, of fixed size, travel to the executors. Defined cases: a null text is empty; special
 tokens found in a text are encoded as such; empty text gives no ids and the empty string; rows are independent of each
-other, so repeated rows, long texts and extra columns need no care.
+other, so repeated rows and long texts need no care; columns named as the results are replaced; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sentrel.llm.common import batches, kept_model
+from sentrel.llm.common import batches, free, kept_model
 
 #: Chunks of text whose encoding is kept by each worker, and pairs of tokens whose compatibility is kept.
 CHUNKS_KEPT, PAIRS_KEPT = 360_000, 250_000
@@ -230,8 +230,8 @@ def encode_table(docs: DataFrame, tokenizer: str, text: str = "text", keep: list
     """Per row: the columns ``keep``, then ids (array of int, if asked for), n_tokens, ids_sha256, decoded_sha256."""
     spec = Path(tokenizer).read_bytes()
     shared = docs.sparkSession.sparkContext.broadcast(spec)
-    keep = [c for c in docs.columns if c != text] if keep is None else keep
-    source = docs.select(*keep, F.coalesce(F.col(text), F.lit("")).alias("_text"))
+    keep = [c for c in (docs.columns if keep is None else keep) if c != text and c.lower() not in ("ids", "n_tokens", "ids_sha256", "decoded_sha256")]
+    source = docs.select(*keep, F.coalesce(F.col(text), F.lit("")).alias(free(docs, "_text")))
     schema = "struct<" + ", ".join(f"`{f.name}`: {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
     schema += (", " if keep else "") + ("ids: array<int>, " if with_ids else "") + "n_tokens: bigint, ids_sha256: string, decoded_sha256: string>"
     names = [*keep, *(["ids"] if with_ids else []), "n_tokens", "ids_sha256", "decoded_sha256"]

@@ -7,19 +7,20 @@ string (``<|``, ``<s>``, ``</s>``, ``[INST]``, ``[/INST]``), so no text can end
 
 Defined cases: a null text or role is the empty string; rows of equal conversation and turn are ordered by role, then
 text; null turns come first; a null conv_id is a conversation of its own; other columns are ignored; an empty table
-gives no rows. Long conversations are formatted in pieces of ``TURNS`` turn numbers, and the pieces are joined.
+gives no rows. Long conversations are formatted in pieces of at most ``TURNS`` turns, also where turns have one number or none, and
+the pieces are joined.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # The template's control strings and the strings that are escaped.
 START, MSG, SEP, END = "<|im_start|>", "<|im_msg|>", "<|im_sep|>", "<|im_end|>\n"
 CONTROL = r"(\||/?s>|/?INST\])"
 
-#: A piece holds the turns whose numbers agree up to this divisor.
+#: A piece holds turns whose numbers agree up to this divisor, and at most so many.
 TURNS = 64
 
 
@@ -45,7 +46,10 @@ def format_chat(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", rol
         F.floor(F.col(turn) / TURNS).alias("_piece"),
         F.struct(F.col(turn).isNotNull().alias("timed"), F.col(turn).alias("turn"), F.coalesce(role, F.lit("")).alias("role"), F.coalesce(text, F.lit("")).alias("text")).alias("_turn"),
     )
-    pieces = rows.groupBy("conv_id", "_piece").agg(F.sort_array(F.collect_list("_turn")).alias("t"))
+    # The same exchange serves the numbering and the grouping.
+    order = Window.partitionBy("conv_id", "_piece").orderBy("_turn")
+    rows = rows.withColumn("_part", F.floor((F.row_number().over(order) - 1) / TURNS))
+    pieces = rows.groupBy("conv_id", "_piece", "_part").agg(F.sort_array(F.collect_list("_turn")).alias("t"))
 
     def part(x: Column, i: Column) -> Column:
         """A turn's text with what stands before it; a piece's first turn gets its header when pieces are joined."""
@@ -57,7 +61,7 @@ def format_chat(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", rol
     pieces = pieces.withColumn("parts", F.transform("t", part)).select(
         "conv_id",
         F.struct(
-            F.col("_piece").isNotNull().alias("timed"), F.col("_piece").alias("piece"),
+            F.col("_piece").isNotNull().alias("timed"), F.col("_piece").alias("piece"), F.col("_part").alias("part"),
             F.element_at("t", 1)["role"].alias("first"), F.element_at("t", -1)["role"].alias("last"),
             F.array_join(F.transform("parts", lambda p: p["body"]), "").alias("body"),
             _spans(F.col("parts"), F.lit(0).cast("long"), F.lit(0).cast("long")).alias("spans"),
@@ -71,8 +75,9 @@ def format_chat(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", rol
         return F.struct(F.concat(head, x["body"]).alias("body"), F.length(head).cast("long").alias("head"), (F.length(head) + F.length(x["body"])).cast("long").alias("size"), x["spans"].alias("spans"))
 
     whole = whole.withColumn("q", F.transform("p", joined))
-    begin = lambda i: F.aggregate(F.slice(F.col("q"), 1, i), F.lit(0).cast("long"), lambda a, p: a + p["size"])
-    spans = F.flatten(F.transform("q", lambda x, i: F.transform(x["spans"], lambda s: F.struct((begin(i) + x["head"] + s["start"]).alias("start"), s["length"].alias("length")))))
+    begins = F.aggregate("q", F.array(F.lit(0).cast("long")), lambda a, p: F.concat(a, F.array(F.element_at(a, -1) + p["size"])))
+    moved = lambda at: F.flatten(F.transform("q", lambda x, i: F.transform(x["spans"], lambda s: F.struct((F.get(at, i) + x["head"] + s["start"]).alias("start"), s["length"].alias("length")))))
+    spans = F.transform(F.array(begins), moved)[0]  # the outer array binds the offsets, so that they are found once
     return whole.select("conv_id", F.concat(F.array_join(F.transform("q", lambda x: x["body"]), ""), F.lit(END)).alias("formatted"), spans.alias("loss_spans"))
 
 

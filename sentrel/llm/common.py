@@ -20,18 +20,35 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir, or a local one where that is unset."""
+    """The folder that the driver and all executors share: spark.checkpoint.dir, or in local mode a folder of this machine where that is unset."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     return _own.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="sentrel-"))
 
 
+def free(docs: DataFrame, name: str) -> str:
+    """The name, with underscores before it until no column has it."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 class Scratch:
-    """Tables written to the shared folder, to cut lineage in a way that survives a lost executor."""
+    """Tables written to the shared folder, to cut lineage in a way that survives a lost executor. What is left of them goes when the driver ends."""
 
     def __init__(self, spark: SparkSession, name: str) -> None:
         self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        path, system = self._path(self.root)
+        system.mkdirs(path)
+        system.deleteOnExit(path)
+
+    def _path(self, name: str):
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+        return path, path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         """Write ``df`` and return what reads it back."""
@@ -41,9 +58,8 @@ class Scratch:
 
     def drop(self, name: str = "") -> None:
         """Delete one table, or all of them."""
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}" if name else self.root)
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        path, system = self._path(f"{self.root}/{name}" if name else self.root)
+        system.delete(path, True)
 
 
 #: What a Python worker keeps between tasks: one operator's model at a time, so that the operators' models don't add up.

@@ -10,7 +10,8 @@ merge into removal spans.
 Benchmark windows travel to the executors in blocks of ``BLOCK`` bytes of text at most; every block is one more narrow pass over
 the documents, so the benchmark may have any size. Documents are never shuffled. Defined cases: a null text has no words; items
 without words have no window; a null item_id reads as the empty string; items may share texts, and then all are
-reported; repeated documents are handled one by one; an empty benchmark hits nothing.
+reported; repeated documents and very long ones are handled one by one; columns named as the results are replaced; an empty benchmark hits
+nothing, and an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -253,10 +254,11 @@ def blocks(benchmark: DataFrame, item_id: str, text: str, size: int) -> Iterator
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, block: int = BLOCK) -> DataFrame:
-    """All columns of ``docs``, and n_words, spans (array of [start, end) over words, merged), items (array of ids, sorted)."""
-    names = docs.columns
-    out = docs.withColumns({"_n": F.lit(0).cast("long"), "_spans": F.array().cast(_SPANS), "_items": F.array().cast("array<string>")})
-    out = out.select(*names, "_n", "_spans", "_items")
+    """All columns of ``docs``, and n_words, spans (array of [start, end) over words, merged), items (array of ids, sorted); columns of ``docs`` with
+    those names are replaced."""
+    made = ["n_words", "spans", "items"]
+    names = [c for c in docs.columns if c == text or c.lower() not in made]
+    out = docs.select(*names, F.lit(0).cast("long").alias("n_words"), F.array().cast(_SPANS).alias("spans"), F.array().cast("array<string>").alias("items"))
 
     def step(windows) -> object:
         def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -277,17 +279,17 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text"
                         items.append(sorted(mine | set(had)))
                         at += size
                     spans, items = pa.array(spans, _ARROW_SPANS), pa.array(items, pa.list_(pa.string()))
-                yield pa.RecordBatch.from_arrays([*b.columns[: len(names)], pa.array(n, pa.int64()), spans, items], [*names, "_n", "_spans", "_items"])
+                yield pa.RecordBatch.from_arrays([*b.columns[: len(names)], pa.array(n, pa.int64()), spans, items], [*names, *made])
 
         return run
 
-    schema = StructType([*out.schema.fields[: len(names)], StructField("_n", LongType()), StructField("_spans", _SPANS), StructField("_items", ArrayType(StringType()))])
+    schema = StructType([*out.schema.fields[: len(names)], StructField("n_words", LongType()), StructField("spans", _SPANS), StructField("items", ArrayType(StringType()))])
     context, any_block = docs.sparkSession.sparkContext, False
     for items in blocks(benchmark, item_id, item_text, block):
         out, any_block = out.mapInArrow(step(context.broadcast(items)), schema), True
     if not any_block:
         out = out.mapInArrow(step(None), schema)
-    return out.withColumnsRenamed({"_n": "n_words", "_spans": "spans", "_items": "items"})
+    return out
 
 
 _ARROW_SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))

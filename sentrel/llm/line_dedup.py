@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sentrel.llm.common import Scratch, batches
+from sentrel.llm.common import Scratch, batches, free
 
 #: Words that a run must have to be removed.
 MIN_WORDS = 50
@@ -111,12 +111,12 @@ def _at(place: str):
 
 
 def remove_repeats(docs: DataFrame, least: int = MIN_WORDS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` without the later copies of repeated runs, and n_lines, n_removed."""
-    runs = copied_runs(docs, least, doc_id, text)
-    runs = runs.select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"), F.col("runs").alias("_runs"))
-    joined = docs.join(runs, F.col(doc_id).eqNullSafe(F.col("_id")) & (F.xxhash64(text) == F.col("_h")), "left")
-    names = docs.columns
-    joined = joined.select(*names, "_runs", F.lit(0).cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_removed"))
+    """``docs`` without the later copies of repeated runs, and n_lines, n_removed; columns of ``docs`` with those names are replaced."""
+    docs = docs.select(*[c for c in docs.columns if c.lower() not in ("n_lines", "n_removed")])
+    names, own = docs.columns, free(docs, "_runs")
+    runs = copied_runs(docs, least, doc_id, text).select("doc_id", "h", F.col("runs").alias(own))
+    joined = docs.join(runs, docs[doc_id].eqNullSafe(runs["doc_id"]) & (F.xxhash64(docs[text]) == runs["h"]), "left")
+    joined = joined.select(*[docs[f"`{c}`"] for c in names], own, F.lit(0).cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_removed"))
 
     def cut(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches(it):
@@ -139,4 +139,4 @@ def remove_repeats(docs: DataFrame, least: int = MIN_WORDS, doc_id: str = "doc_i
             cols[k] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays(cols, [*names, "n_lines", "n_removed"])
 
-    return joined.mapInArrow(cut, joined.drop("_runs").schema)
+    return joined.mapInArrow(cut, joined.drop(own).schema)

@@ -10,7 +10,7 @@ share. So no link is lost and no list grows with the square of a group. Componen
 fingerprints by large-star and small-star steps.
 
 Defined cases: a null text has no words; a text without words has fingerprint zero, linked like any other; null ids are
-never a component's name unless it has no other; repeated rows keep one row each; an empty table gives no rows.
+never a component's name unless it has no other; repeated rows keep one row each; other columns may have any name; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from sentrel.llm.common import Scratch, batches
+from sentrel.llm.common import Scratch, batches, free
 
 #: Variants with more fingerprints than this are resolved by the finer index.
 CROWD = 512
@@ -53,17 +53,17 @@ def fingerprint(hashes: np.ndarray) -> int:
     return int(np.packbits(counts * 2 > len(hashes)).view(">i8")[0])
 
 
-def fingerprints(docs: DataFrame, width: int = 3, keep: list[str] | None = None, text: str = "text") -> DataFrame:
-    """The columns ``keep`` of each row (all of them, if None) and its fingerprint ``fp``, a signed 64-bit integer."""
+def fingerprints(docs: DataFrame, width: int = 3, keep: list[str] | None = None, text: str = "text", name: str = "fp") -> DataFrame:
+    """The columns ``keep`` of each row (all of them, if None) and its fingerprint ``name``, a signed 64-bit integer."""
     keep = docs.columns if keep is None else keep
     kept = docs.select(*keep)
-    source = docs.select(*[F.col(c) for c in keep], F.col(text).alias("_text"))
-    schema = StructType([*kept.schema.fields, StructField("fp", LongType())])
+    source = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(text).alias(free(docs, "_text")))
+    schema = StructType([*kept.schema.fields, StructField(name, LongType())])
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches(it):
             made = pa.array([fingerprint(shingle_hashes(t.as_py(), width)) for t in b.column(len(keep))], pa.int64())
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], made], [*keep, "fp"])
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], made], [*keep, name])
 
     return source.mapInArrow(run, schema)
 
@@ -215,11 +215,17 @@ def one_of_each(docs: DataFrame, width: int = 3, distance: int = DISTANCE) -> Da
     """The rows of ``docs`` that stay: of each component the one with the smallest doc_id (null last; of equal ones that with the smallest fingerprint, then text hash)."""
     _, named = _grouped(docs.select("doc_id", "text"), Scratch(docs.sparkSession, "simhash"), width, distance)
     first = F.struct(F.col("first").isNull().alias("none"), F.col("first").alias("id"), "fp")
-    stay = named.groupBy("root").agg(F.min(first).alias("x")).select(F.col("x.id").alias("_id"), F.col("x.fp").alias("_fp"))
-    marked = fingerprints(docs, width)
-    found = marked.join(stay, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("fp") == F.col("_fp")), "left_semi")
-    own = Window.partitionBy("fp", "doc_id").orderBy(F.xxhash64("text"))
-    return found.withColumn("_k", F.row_number().over(own)).where("_k = 1").select(*docs.columns)
+    stay = named.groupBy("root").agg(F.min(first).alias("x")).select("x.id", "x.fp")
+    name = free(docs, "fp")
+    return first_of_each(fingerprints(docs, width, name=name), name, stay).select(*docs.columns)
+
+
+def first_of_each(marked: DataFrame, name: str, stay: DataFrame) -> DataFrame:
+    """The rows of ``marked`` whose doc_id and digest (column ``name``) are among the (id, fp) of ``stay``; of equal ones that with the least text hash."""
+    found = marked.join(stay, marked["doc_id"].eqNullSafe(stay["id"]) & (marked[name] == stay["fp"]), "left_semi")
+    own = Window.partitionBy(name, "doc_id").orderBy(F.xxhash64("text"))
+    k = free(found, "_k")
+    return found.withColumn(k, F.row_number().over(own)).where(f"`{k}` = 1")
 
 
 def hex_fingerprint(column: str = "fp"):

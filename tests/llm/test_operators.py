@@ -80,15 +80,15 @@ def test_decontamination_like_brute_force(spark, docs, corpus, empty):
         for k in range(max(1, len(said) - 9) if said else 0):
             windows.setdefault(tuple(said[k : k + 10]), set()).add("" if i is None else str(i))
     for block in (1 << 20, 40):  # one pass, and many
-        plain = docs.drop("spans")
+        plain = docs
         got = decontaminate.find_contamination(plain, bench, block=block).select("text", "n_words", decontaminate.hit_words().alias("n"), "items").collect()
         for r in got:
             assert (r["n_words"], r["n"], r["items"]) == brute_hits(r["text"], windows)
         assert len(got) == len(corpus)
-    cut = decontaminate.remove_spans(decontaminate.find_contamination(docs.drop("spans"), bench))
+    cut = decontaminate.remove_spans(decontaminate.find_contamination(docs, bench))
     for r in cut.collect():
         assert not (set(windows) & {tuple(decontaminate.words_of(r["text"])[i : i + 10]) for i in range(20)})
-    assert decontaminate.find_contamination(empty.drop("spans"), bench).count() == 0
+    assert decontaminate.find_contamination(empty, bench).count() == 0
     assert decontaminate.find_contamination(plain, bench.limit(0)).where(F.size("spans") > 0).count() == 0
 
 
@@ -388,9 +388,9 @@ def test_fingerprints(spark, docs, corpus, empty):
         assert r["fp"] & (2**64 - 1) == want
     by = {r["doc_id"]: r["component_id"] for r in got}
     assert by[10] == by[9] == 9 and by[1] == by[2] == by[0] == 0
-    stay = [r["doc_id"] for r in simhash.one_of_each(docs.drop("fp")).collect()]
+    stay = [r["doc_id"] for r in simhash.one_of_each(docs).collect()]
     assert len(stay) == len(set(stay)) == len(set(by.values())) and 10 not in stay
-    assert simhash.near_duplicates(empty).count() == 0 and simhash.one_of_each(empty.drop("fp")).count() == 0
+    assert simhash.near_duplicates(empty).count() == 0 and simhash.one_of_each(empty).count() == 0
 
 
 def test_weighted_samples(spark, docs, corpus, empty):
@@ -430,3 +430,27 @@ def test_collision_rate_is_generalised_jaccard(spark):
     mins = cells.crossJoin(spark.range(64).withColumnRenamed("id", "k")).groupBy("i", "v", "k").agg(F.min(cws.sample(F.col("h"), F.col("lw"), F.col("k"))).alias("s"))
     agree = mins.groupBy("i", "k").agg((F.min("s") == F.max("s")).cast("int").alias("same")).agg(F.avg("same")).first()[0]
     assert agree == pytest.approx(np.mean(want), abs=0.03)
+
+
+def test_columns_of_the_results_names(spark, docs):
+    """Columns named as an operator's results are replaced, others stay, whatever they are called."""
+    tokenizers_path = pytest.importorskip("public_tokenizers").path("word_bpe_49k.json")
+    taken = docs.selectExpr("doc_id", "text", *[f"'old' AS {c}" for c in ("n_words", "items", "spans", "n_tokens", "ids", "score", "n_lines", "n_removed", "_runs", "_text", "fp", "_k", "_id", "h", "id")])
+    bench = spark.createDataFrame([(1, "one two")], "item_id long, text string")
+    found = decontaminate.find_contamination(taken, bench)
+    assert found.where("size(spans) > 0 AND n_words > 0 AND items[0] = '1' AND _text = 'old'").count() == 1
+    assert decontaminate.remove_spans(found).count() == docs.count()
+    assert dict(bpe.encode_table(taken, tokenizers_path).dtypes)["n_tokens"] == "bigint" and bpe.encode_table(taken, tokenizers_path).where("n_tokens >= 0 AND _text = 'old'").count() == docs.count()
+    cut = line_dedup.remove_repeats(taken)
+    assert cut.where("n_lines >= 0 AND _runs = 'old' AND _id = 'old' AND h = 'old'").count() == docs.count()
+    stay = simhash.one_of_each(taken)
+    assert stay.columns == taken.columns and stay.where("fp = 'old' AND _k = 'old' AND id = 'old'").count() == stay.count() > 0
+
+
+def test_tied_and_untimed_turns(spark):
+    """Pieces of a conversation hold so many turns at most, also where turns have one number or none."""
+    rows = [(1, None, "user" if i % 3 else "assistant", f"t{i:04}") for i in range(500)] + [(1, 7, "user" if i % 2 else "assistant", f"u{i:04}") for i in range(300)]
+    done = chat_format.format_chat(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    got = done.select(chat_format.read_chat(F.col("formatted")).alias("t"), chat_format.loss_texts(F.col("formatted"), F.col("loss_spans")).alias("loss")).first()
+    want = sorted((r[1] is not None, r[1] or 0, r[2], r[3]) for r in rows)
+    assert [tuple(t) for t in got["t"]] == [w[2:] for w in want] and got["loss"] == [w[3] for w in want if w[2] == "assistant"]
