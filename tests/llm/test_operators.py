@@ -123,6 +123,37 @@ def test_shards(spark, docs, corpus, empty):
     assert sharding.shard(empty, 4).count() == 0
 
 
+@pytest.mark.parametrize(("bits", "finer"), [(16, 256), (2, 3)])
+def test_capacity_is_the_smallest_over_all_groups(spark, monkeypatch, bits, finer):
+    """The shards of the query: equal texts together, groups contiguous in their order, no capacity smaller over the groups themselves."""
+    monkeypatch.setattr(sharding, "CELL_BITS", bits)
+    monkeypatch.setattr(sharding, "FINER", finer)
+    rnd = random.Random(7)
+    texts = [words(rnd, rnd.randrange(1, 60), 9) for _ in range(150)]
+    rows = [(i, rnd.choice(texts[: 20 if i % 3 else 150])) for i in range(400)] + [(i, texts[0]) for i in range(400, 1500)] + [(None, None), (3, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sharding.shard(df, 7).collect()
+    hashed = df.select("doc_id", F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("crc"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"), (F.coalesce(F.octet_length("text"), F.lit(0)) + 16).alias("size")).collect()
+    groups, cells = Counter(), Counter()
+    for r in hashed:
+        groups[r["h"]] += r["size"]
+        cells[(r["h"] % 2**64) >> (64 - bits)] += r["size"]
+    cell = lambda h: (h % 2**64) >> (64 - bits)
+    order = sorted(groups, key=lambda h: (-cells[cell(h)], cell(h), h))
+    best = sharding.smallest_capacity([groups[h] for h in order], 7)
+    by_crc = {r["crc"]: r["h"] for r in hashed}
+    at = {}
+    for r in got:
+        assert at.setdefault(by_crc[r["text_crc32"]], r["shard"]) == r["shard"]
+    assert [at[h] for h in order] == sorted(at[h] for h in order)
+    sizes = Counter()
+    for r in got:
+        sizes[r["shard"]] += r["size"]
+    assert max(sizes.values()) == best
+    for s in range(7):
+        assert sorted(r["slot"] for r in got if r["shard"] == s) == list(range(sum(r["shard"] == s for r in got)))
+
+
 def test_language_model(spark, docs, corpus, empty):
     got = hpylm.score_documents(docs).collect()
     train = Counter(w for c in corpus if zlib.crc32(str(c[0] if c[0] is not None else "").encode()) % 7 != 2 for w in hpylm.tokens(c[1]))
