@@ -110,6 +110,15 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES).drop("url")
 
 
+#: Levels of the path tree that the SQL unrolls; the operator itself goes as deep as the paths do.
+SQL_LEVELS = 8
+
+
+def _z_sql(b1: str, m1: str, b2: str, m2: str) -> str:
+    pooled = f"(({b1} + {b2}) / nullif({m1} + {m2}, 0)::DOUBLE)"
+    return f"(({b1} / nullif({m1}, 0)::DOUBLE - {b2} / nullif({m2}, 0)::DOUBLE) / nullif(sqrt({pooled} * (1 - {pooled}) * (1.0::DOUBLE / nullif({m1}, 0) + 1.0::DOUBLE / nullif({m2}, 0))), 0))"
+
+
 def _op8_sql() -> str:
     """The template tree in SQL, one step a level."""
     u, d = url_filter, "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
@@ -118,21 +127,23 @@ def _op8_sql() -> str:
     steps = [rf"""
 WITH u AS (SELECT page_id, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), {d}) AS host, coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
 r AS (SELECT *, CASE {" ".join(f"{f} '{h}{p}'" for f, (h, p, _) in zip(fits, ordered, strict=True))} END AS rule, CASE {" ".join(f"{f} '{v}'" for f, (_, _, v) in zip(fits, ordered, strict=True))} END AS said FROM u),
-p AS (SELECT host, path, count(*) FILTER (said = 'block') AS b, count(*) FILTER (said = 'allow') AS a, count(*) FILTER (said IS NULL) AS u FROM r GROUP BY ALL),
-rate AS (SELECT sum(b) / sum(a + b + u) AS rate FROM p),
-t0 AS (SELECT *, a + b + u AS n, string_split(CASE WHEN starts_with(path, '/') THEN substr(path, 2) ELSE path END, '/') AS segments, CAST([] AS VARCHAR[]) AS template FROM p)"""]
-    for k in range(u.DEPTH):
-        steps.append(f"""s{k} AS (SELECT *, segments[{k + 1}] AS seg, sum(n) OVER (PARTITION BY host, template, segments[{k + 1}]) AS mine, sum(n) FILTER (len(segments) > {k}) OVER (PARTITION BY host, template) AS every FROM t{k}),
-t{k + 1} AS (SELECT host, path, b, a, u, n, segments, CASE WHEN len(segments) <= {k} THEN template ELSE list_append(template, CASE WHEN mine > 1 AND mine * {u.SHARE} >= every THEN '=' || seg ELSE '*' END) END AS template FROM s{k})""")
-    steps.append(f"""tree AS (SELECT host, path, b, a, u, CASE WHEN len(segments) > {u.DEPTH} THEN list_append(template, '**') ELSE template END AS template FROM t{u.DEPTH}),
-br AS (SELECT host, template[1] AS branch, sum(b) AS b, sum(a + b + u) AS n, (sum(b) + 0.5::DOUBLE) / (sum(a + b + u) + 1) AS rate FROM tree GROUP BY ALL),
-bl AS (SELECT *, lag(n) OVER w AS pn, lag(rate) OVER w AS pr FROM br WINDOW w AS (PARTITION BY host ORDER BY rate, branch)),
-bz AS (SELECT *, (rate * n + pr * pn) / (n + pn) AS q FROM bl),
-bc AS (SELECT host, branch, sum(CASE WHEN (rate - pr) / sqrt(q * (1 - q) * (1.0::DOUBLE / n + 1.0::DOUBLE / pn)) >= {u.LIKE} THEN 1 ELSE 0 END) OVER (PARTITION BY host ORDER BY rate, branch) AS cluster FROM bz),
-m AS (SELECT tree.*, cluster, template[2:] AS rest FROM tree JOIN bc ON tree.host = bc.host AND template[1] = branch),
-pure AS (SELECT host, cluster, rest, (sum(b) + {u.PRIOR} * any_value(rate)) / (sum(b) + sum(a) + {u.PRIOR}) AS purity FROM m, rate GROUP BY host, cluster, rest),
-j AS (SELECT m.host, m.path, '/' || array_to_string(list_transform(template, lambda s: CASE WHEN starts_with(s, '=') THEN substr(s, 2) ELSE s END), '/') AS template, purity FROM m JOIN pure ON m.host = pure.host AND m.cluster = pure.cluster AND m.rest = pure.rest)
-SELECT page_id, r.host, r.path, rule, coalesce(said, CASE WHEN purity > 0.5 THEN 'block' ELSE 'allow' END) AS verdict, template, purity::DOUBLE AS purity FROM r JOIN j ON r.host = j.host AND r.path = j.path""")
+p AS (SELECT host, path, count(*) FILTER (said = 'block') AS b, count(*) FILTER (said = 'allow') AS a, count(*) AS n FROM r GROUP BY ALL),
+rate AS (SELECT coalesce(sum(b) / nullif(sum(a + b), 0), 0) AS rate FROM p),
+t0 AS (SELECT *, string_split(CASE WHEN starts_with(path, '/') THEN substr(path, 2) ELSE path END, '/') AS segments, CAST([] AS VARCHAR[]) AS template, '' AS node FROM p)"""]
+    for k in range(SQL_LEVELS):
+        own = _z_sql("b", "(a + b)", "(all_b - b)", "(all_m - a - b)")
+        steps.append(f"""s{k} AS (SELECT *, segments[{k + 1}] AS seg FROM t{k}),
+o{k} AS (SELECT host, node, seg, sum(n) AS n, sum(b) AS b, sum(a) AS a FROM s{k} WHERE seg IS NOT NULL GROUP BY ALL),
+w{k} AS (SELECT *, sum(n) OVER h AS every, sum(b) OVER h AS all_b, sum(a + b) OVER h AS all_m FROM o{k} WINDOW h AS (PARTITION BY host, node)),
+g{k} AS (SELECT *, CASE WHEN n > 1 AND (n * {u.SHARE} >= every OR n >= {u.SUPPORT} OR a + b >= {u.LABELLED} AND coalesce(abs({own}) >= {u.OWN}, false)) THEN '=' || seg ELSE '*' END AS grown FROM w{k}),
+b{k} AS (SELECT host, node, grown, sum(b) AS b, sum(a + b) AS m, (sum(b) + 0.5::DOUBLE) / (sum(a + b) + 1) AS rate FROM g{k} GROUP BY ALL),
+l{k} AS (SELECT *, lag(b) OVER v AS pb, lag(m) OVER v AS pm FROM b{k} WINDOW v AS (PARTITION BY host, node ORDER BY rate, grown)),
+c{k} AS (SELECT host, node, grown, sum(CASE WHEN {_z_sql("b", "m", "pb", "pm")} >= {u.LIKE} THEN 1 ELSE 0 END) OVER (PARTITION BY host, node ORDER BY rate, grown) AS cluster FROM l{k}),
+t{k + 1} AS (SELECT s.host, s.path, s.b, s.a, s.n, s.segments, CASE WHEN s.seg IS NULL THEN s.template ELSE list_append(s.template, g.grown) END AS template, CASE WHEN s.seg IS NULL THEN s.node ELSE s.node || '/' || c.cluster END AS node
+  FROM s{k} s LEFT JOIN g{k} g ON s.host = g.host AND s.node = g.node AND s.seg = g.seg LEFT JOIN c{k} c ON g.host = c.host AND g.node = c.node AND g.grown = c.grown)""")
+    steps.append(f"""pure AS (SELECT host, node, sum(b) AS tb, (sum(b) + {u.PRIOR} * any_value(rate)) / (sum(b) + sum(a) + {u.PRIOR}) AS purity FROM t{SQL_LEVELS}, rate GROUP BY host, node),
+j AS (SELECT t.host, t.path, '/' || array_to_string(list_transform(template, lambda s: CASE WHEN starts_with(s, '=') THEN substr(s, 2) ELSE s END), '/') AS template, tb, purity FROM t{SQL_LEVELS} t JOIN pure ON t.host = pure.host AND t.node = pure.node)
+SELECT page_id, r.host, r.path, rule, coalesce(said, CASE WHEN purity > 0.5 AND tb > 0 THEN 'block' ELSE 'allow' END) AS verdict, template, purity::DOUBLE AS purity FROM r JOIN j ON r.host = j.host AND r.path = j.path""")
     return ",\n".join(steps)
 
 

@@ -370,6 +370,22 @@ def test_urls(spark):
     assert url_filter.judge(df.limit(0), rules).count() == 0
 
 
+def test_template_tree(spark, monkeypatch):
+    """Deep paths, repeated and very long urls; sections of a large host that are blocked alone; merged branches; the same by shuffles."""
+    rules = [("bad.h.org", "/", "block"), *[("h.org", f"/s{i}/", "block" if i == 3 else "allow") for i in range(0, 30, 3)]]
+    urls = [f"http://h.org/s{i}/d/e/f/{k}/g/x{k % 2}" for i in range(30) for k in range(40)] + [f"http://h.org/id{i}" for i in range(300)]
+    urls += ["http://h.org/" + "a/" * 30, "http://h.org/" + "b" * 100_000, *["http://bad.h.org/x"] * 5]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = url_filter.judge(df, rules).collect()
+    assert len(got) == len(urls)
+    said = {r["path"]: r for r in got}
+    assert said["/s3/d/e/f/7/g/x1"]["verdict"] == "block" and said["/s3/d/e/f/7/g/x1"]["template"] == "/s3/d/e/f/*/g/x1"
+    assert {r["verdict"] for r in got if r["host"] == "h.org" and not r["path"].startswith("/s3/")} == {"allow"}
+    assert said["/id7"]["template"] == "/*" and {r["verdict"] for r in got if r["host"] == "bad.h.org"} == {"block"}
+    monkeypatch.setattr(url_filter, "SMALL", 0)
+    assert sorted(map(str, url_filter.judge(df, rules).collect())) == sorted(map(str, got))
+
+
 def brute_components(fps, distance=2):
     distinct = sorted(set(fps))
     root = {f: f for f in distinct}
