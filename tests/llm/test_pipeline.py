@@ -35,7 +35,7 @@ def docs(spark, corpus):
 
 
 def test_stages_of_the_contract():
-    assert [n for n, _ in corpus_pipeline.STAGES] == ["quality classifier", "line dedup", "SimHash near-dedup", "benchmark decontamination", "BPE encoding and decoding"]
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["quality classifier", "line dedup", "near-dedup", "benchmark decontamination", "BPE encoding and decoding"]
 
 
 def test_near_copies_go_and_others_stay(spark, docs):
