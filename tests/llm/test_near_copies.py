@@ -67,3 +67,31 @@ def test_all_similar_pairs_are_connected_in_a_band_of_several_components(spark):
     roots = {r["node"]: r["root"] for r in near_copies.components(near_copies.links(docs, distinct, scratch), scratch).collect()}
     similar = [(a, b) for a, b in itertools.combinations(range(len(texts)), 2) if len(np.intersect1d(sets[a], sets[b])) >= 0.8 * len(np.union1d(sets[a], sets[b]))]
     assert similar and all(roots[fps[a]] == roots[fps[b]] for a, b in similar)
+
+
+def test_operator_9_finds_candidates(spark):
+    """Copies that differ in one of many runs are linked by fingerprints alone."""
+    rnd = random.Random(9)
+    base = [" ".join(f"w{rnd.randrange(10**6)}" for _ in range(3000)) for _ in range(4)]
+    docs = spark.createDataFrame(list(enumerate([*base, *[f"{t} tail" for t in base]])), "doc_id long, text string")
+    known = near_copies.marked(docs, ["doc_id"], True).collect()
+    fps = {r["doc_id"]: r["fp"] for r in known}
+    distinct = spark.createDataFrame([(r["fp"], r["doc_id"], [], r["sim"]) for r in known], "fp long, first long, bands array<long>, sim long")
+    scratch = Scratch(spark, "test")
+    found = near_copies.simhash_pairs(distinct, scratch)
+    near = {(r["a"], r["b"]) for r in near_copies.links(docs, distinct, scratch, candidates=found).collect()}
+    assert near == {tuple(sorted((fps[i], fps[i + 4]))) for i in range(4)}
+
+
+def test_a_crowd_of_unlike_members_gives_no_square(spark, monkeypatch):
+    """All share a band, none is similar: 10,000 pairs were verified before."""
+    rnd = random.Random(5)
+    t = " ".join(f"w{i}" for i in range(200))
+    texts = [edited(rnd, t, 12) for _ in range(150)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    fps = {r["doc_id"]: r["fp"] for r in near_copies.marked(docs, ["doc_id"], False).collect()}
+    distinct = spark.createDataFrame([(fps[k], k, [5]) for k in range(150)], "fp long, first long, bands array<long>")
+    seen, real = [], near_copies.verified
+    monkeypatch.setattr(near_copies, "verified", lambda pairs, *a: (seen.append(pairs.count()), real(pairs, *a))[1])
+    near_copies.links(docs, distinct, Scratch(spark, "test")).count()
+    assert len(seen) == 2 and sum(seen) < 450
